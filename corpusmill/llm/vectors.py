@@ -1,0 +1,136 @@
+"""Vectorised text helpers over Arrow buffers, shared by the operators here."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+#: bytes of words of ASCII digits, a-z and everything beyond ASCII
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
+
+#: bytes that are not ASCII white space
+SOLID = np.ones(256, bool)
+SOLID[[9, 10, 11, 12, 13, 32]] = False
+
+CHUNK_BYTES = 4 << 20
+
+
+def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (from 0) of a string or binary array; null is empty."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    if pa.types.is_string(arr.type):
+        arr = arr.cast(pa.binary())
+    if arr.null_count:
+        arr = pc.fill_null(arr, b"")
+    wide = pa.types.is_large_binary(arr.type) or pa.types.is_large_string(arr.type)
+    n = len(arr)
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offs, data = arr.buffers()
+    o = np.frombuffer(offs, np.int64 if wide else np.int32)[arr.offset : arr.offset + n + 1].astype(np.int64)
+    d = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return d[o[0] : o[-1]], o - o[0]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text each, a whole row at least."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        col = b.column(b.schema.get_field_index(text))
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64))
+        at = 0
+        while at < b.num_rows:
+            base = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, base + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+class Words:
+    """Words of a chunk of texts.
+
+    values: one binary per word, in order; offsets: word offsets of the texts;
+    starts, ends: byte places in ``data``, the (possibly lower-cased) bytes.
+    """
+
+    def __init__(self, data: np.ndarray, text_offsets: np.ndarray, kept: np.ndarray, lower: bool = True):
+        self.data = data = LOWER[data] if lower else data
+        mask = kept[data]
+        n = len(data)
+        before = np.empty(n, bool)
+        after = np.empty(n, bool)
+        if n:
+            before[1:], after[:-1] = mask[:-1], mask[1:]
+            before[0] = after[-1] = False
+            inner = text_offsets[(text_offsets > 0) & (text_offsets < n)]
+            before[inner] = False
+            after[inner - 1] = False
+        self.starts = np.flatnonzero(mask & ~before)
+        self.ends = np.flatnonzero(mask & ~after) + 1
+        self.offsets = np.searchsorted(self.starts, text_offsets)
+        lens = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=lens[1:])
+        self.values = pa.Array.from_buffers(
+            pa.large_binary(), len(self.starts), [None, pa.py_buffer(lens), pa.py_buffer(np.ascontiguousarray(data[mask]))]
+        )
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+
+def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A bijective 64-bit scrambling (the splitmix64 finaliser)."""
+    x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: Words) -> np.ndarray:
+    """xxh64 of every word; each distinct word of the chunk is hashed once."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    enc = pc.dictionary_encode(words.values)
+    one = xxhash.xxh64_intdigest
+    table = np.fromiter((one(w) for w in enc.dictionary.to_pylist()), np.uint64, len(enc.dictionary))
+    return table[np.asarray(enc.indices)]
+
+
+def chain_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``n`` neighbours in ``h``."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    m = len(h) - n + 1
+    acc = mix(h[:m], n)
+    for k in range(1, n):
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m], k)
+    return acc
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of neighbouring rows with one value of ``key``, across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.asarray(b.column(b.schema.get_field_index(key)))
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and k[lo] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = k[lo]
+    if held:
+        yield pa.Table.from_batches(held)
