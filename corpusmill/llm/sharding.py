@@ -48,9 +48,9 @@ def _round(x, k):
 
 def permute_once(x, a: int, b: int, ks):
     """One pass of the network over numbers below a * b."""
-    left, right = (x - x % b) / b if isinstance(x, Column) else x // b, x % b
     if isinstance(x, Column):
-        left = left.cast("long")
+        return _permute_column(x, a, b, ks)
+    left, right = x // b, x % b
     for i, k in enumerate(ks):
         if i % 2 == 0:
             left = (left + _round(right, k)) % a
@@ -59,6 +59,21 @@ def permute_once(x, a: int, b: int, ks):
     return left * b + right
 
 
+def _permute_column(x: Column, a: int, b: int, ks) -> Column:
+    """The same as a fold over the rounds: unrolled, the expression would grow threefold with each."""
+    rounds = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(k, "mcq")], F.lit(i % 2 == 0).alias("even")) for i, k in enumerate(ks)])
+
+    def step(s: Column, k: Column) -> Column:
+        f = _round(F.when(k["even"], s["r"]).otherwise(s["l"]), (k["m"], k["c"], k["q"]))
+        return F.struct(
+            F.when(k["even"], (s["l"] + f) % a).otherwise(s["l"]).alias("l"),
+            F.when(k["even"], s["r"]).otherwise((s["r"] + f) % b).alias("r"),
+        )
+
+    start = F.struct(((x - x % b) / b).cast("long").alias("l"), (x % b).cast("long").alias("r"))
+    return F.aggregate(rounds, start, step, lambda s: s["l"] * b + s["r"])
+
+
 def walk_length(n: int, a: int, b: int, ks) -> int:
     """The most passes that any number below n needs until it is below n again.
 
@@ -77,13 +92,8 @@ def place(number: Column, n: int, seed: int) -> Column:
     """The permuted place of a row number below n."""
     a, b = sides(n)
     ks = keys(seed)
-    x = number
-    for _ in range(walk_length(n, a, b, ks)):
-        # a lambda binds the last pass's value, so the expression stays linear in the passes
-        once = F.transform(F.array(x), lambda v: permute_once(v, a, b, ks))
-        x = F.element_at(once, 1) if x is number else F.when(x < n, x).otherwise(F.element_at(once, 1))
-        x = F.element_at(F.array(x), 1)
-    return x
+    passes = F.sequence(F.lit(1), F.lit(walk_length(n, a, b, ks)))
+    return F.aggregate(passes, number.cast("long"), lambda x, i: F.when((i > 1) & (x < n), x).otherwise(permute_once(x, a, b, ks)))
 
 
 def number_rows(df: DataFrame, order: list[str], out: str = "row_number") -> tuple[DataFrame, int]:
