@@ -77,14 +77,20 @@ def _permute_column(x: Column, a: int, b: int, ks) -> Column:
 def walk_length(n: int, a: int, b: int, ks) -> int:
     """The most passes that any number below n needs until it is below n again.
 
-    Only the a * b - n < a places beyond n are followed, about sqrt(n) of them.
+    Only the a * b - n < a places beyond n are followed, about sqrt(n) of them. Those
+    that come back to their own start lie on cycles that no number below n enters.
     """
-    out = np.arange(n, a * b, dtype=np.int64)
-    passes = 1
+    if n <= 0:
+        return 1
+    start = out = np.arange(n, a * b, dtype=np.int64)
+    passes = step = 1
     while len(out):
         out = permute_once(out, a, b, ks)
-        out = out[out >= n]
-        passes += 1
+        step += 1
+        if (out < n).any():
+            passes = step
+        stay = (out >= n) & (out != start)
+        start, out = start[stay], out[stay]
     return passes
 
 
@@ -112,7 +118,7 @@ def number_rows(df: DataFrame, order: list[str], out: str = "row_number") -> tup
         base.append(total)
         total += counts.get(p, 0)
     # one offset a partition: bounded by spark.sql.shuffle.partitions
-    offset = F.get(F.split(F.lit(",".join(map(str, base))), ",").cast("array<bigint>"), part.cast("int"))
+    offset = F.get(F.split(F.lit(",".join(map(str, base or [0]))), ",").cast("array<bigint>"), part.cast("int"))
     return tagged.withColumn(out, offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"), total
 
 
