@@ -153,27 +153,34 @@ def assign(docs: DataFrame, shards: int = 16, seed: int = 20240601, key: str = "
     return done.select(key, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def assign_sql(shards: int = 16, seed: int = 20240601, passes: int = 12) -> str:
-    """The same as DuckDB SQL (``passes`` is far beyond what a walk needs at its sizes)."""
+def _crc32_sql(text: str) -> str:
+    """zlib's CRC-32 of a text's UTF-8 bytes as DuckDB SQL: a fold over the bytes with the usual table."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    digits = f"hex(encode({text}))"
+    byte = f"list_transform(range(strlen({text})), lambda i: CAST('0x' || substr({digits}, 2 * i + 1, 2) AS BIGINT))"
+    step = f"xor(list_extract({table}::BIGINT[], (xor(c, b) & 255) + 1), c >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+def assign_sql(shards: int = 16, seed: int = 20240601) -> str:
+    """The same as DuckDB SQL, all columns; a recursive query walks each row until it is below n."""
     ks = keys(seed)
-    ctes = [
-        "c AS (SELECT count(*) n, greatest(1, CAST(floor(sqrt(greatest(count(*), 1))) AS BIGINT)) a FROM documents)",
-        "s AS (SELECT n, a, greatest(1, -((-n) // a)) b FROM c)",
-        """r0 AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, crc AS text_crc32,
-            row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(strlen(text), 0) + 1, crc) - 1 AS x, n, a, b
-            FROM (SELECT *, 0 AS crc FROM documents), s)""",
-    ]
-    last = "r0"
-    for p in range(passes):
-        guard = "false" if p == 0 else "x < n"
-        ctes.append(f"p{p}_0 AS (SELECT *, CASE WHEN {guard} THEN NULL ELSE x // b END l, x % b r FROM {last})")
-        last = f"p{p}_0"
-        for i, (m, c, q) in enumerate(ks):
-            src, dst, mod = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
-            y = f"(({src} * {m} + {c}) % {_P})"
-            f = f"((({y} * ({y} % 65521 + 1)) % {_P} * {q} + {m}) % {_P})"
-            ctes.append(f"p{p}_{i + 1} AS (SELECT * REPLACE (({dst} + {f}) % {mod} AS {dst}) FROM {last})")
-            last = f"p{p}_{i + 1}"
-        ctes.append(f"q{p} AS (SELECT doc_id, size, text_crc32, n, a, b, CASE WHEN {guard} THEN x ELSE l * b + r END x FROM {last})")
-        last = f"q{p}"
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, size, x FROM {last}"
+    once = "SELECT id, n, a, b, pass, x // b AS l, x % b AS r FROM walk WHERE pass = 0 OR x >= n"
+    for i, (m, c, q) in enumerate(ks):
+        src, dst, mod = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
+        once = f"SELECT *, ({src} * {m} + {c}) % {_P} AS y FROM ({once})"
+        once = f"SELECT * EXCLUDE (y) REPLACE (({dst} + ((y * (y % 65521 + 1)) % {_P} * {q} + {m}) % {_P}) % {mod} AS {dst}) FROM ({once})"
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, {_crc32_sql("text")} AS text_crc32 FROM t),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS id FROM d),
+c AS (SELECT count(*) AS n, greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS a FROM documents),
+walk AS (
+SELECT id, n, a, greatest(1, (n + a - 1) // a) AS b, 0 AS pass, id AS x FROM numbered, c
+UNION ALL
+SELECT id, n, a, b, pass + 1, l * b + r FROM ({once}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, CAST(x // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered JOIN walk USING (id) WHERE pass > 0 AND x < n"""

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -43,3 +44,10 @@ def test_op10_covers_all_rows(spark):
     n = len(docs)
     assert sorted(r.slot * 16 + r.shard for r in got) == list(range(n))
     assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+
+
+def test_op10_oracle(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(e.oracle_sql()["op10_shards"]).fetchall()
+    assert sorted(want) == sorted(map(tuple, e.queries()["op10_shards"](spark, SF).collect()))

@@ -1,5 +1,8 @@
 """Walks of the permutation, by brute force over all numbers."""
 
+import zlib
+
+import duckdb
 import numpy as np
 import pytest
 
@@ -30,3 +33,21 @@ def test_walk_length(n):
 def test_shard_whole(spark, n):
     got = s.shard(spark.range(n), ["id"]).select("id", "shard", "slot").orderBy("id").collect()
     assert [r.slot * 16 + r.shard for r in got] == walked(n)[0].tolist()
+
+
+COLUMNS = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def test_sql_as_operator(spark):
+    # rows that tie in key and size, an exact copy, beyond ASCII, empty and null
+    rows = [(1, "ab"), (1, "ba"), (1, "ab"), (2, "é€😀"), (3, ""), (4, None), (None, "x")] + [(i, f"text {i}") for i in range(10, 203)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = con.execute(s.assign_sql())
+    assert [c[0] for c in found.description] == COLUMNS == s.assign(docs).columns
+    want = found.fetchall()
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(want, key=order) == sorted(map(tuple, s.assign(docs).collect()), key=order)
+    assert sorted(r[2] for r in want) == sorted(zlib.crc32((t or "").encode()) for _, t in rows)
