@@ -1,0 +1,41 @@
+"""Words around and beyond FOLD_BYTES: the fold, the heap and tiktoken."""
+
+import base64
+import random
+
+import public_tokenizers
+import tiktoken
+
+from corpusmill.llm import bpe
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def long_words() -> list[str]:
+    draw = random.Random(0)
+    out = []
+    for size in (254, 255, 256, 257, 258, 300, 1000, 20000):
+        out += ["a" * size, "=" * size, "".join(draw.choices("abcdeinorst", k=size)), "7" * size]
+    return out + ["".join(draw.choices("的一是在不了有和人这", k=k)) for k in (85, 86, 2000)]
+
+
+def encoder() -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encode_as_tiktoken(spark):
+    texts = long_words()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.token_ids for r in bpe.encode(docs, RANKS).collect()}
+    enc = encoder()
+    assert [got[i] for i in range(len(texts))] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_heap_as_fold(spark):
+    words = [t for t in long_words() if len(t.encode()) <= 1000]
+    ranks, lookup, enc = bpe.load_ranks(RANKS), bpe.rank_map(RANKS), encoder()
+    ids = [[ranks[bytes([b])] for b in w.encode()] for w in words]
+    fold = spark.createDataFrame([(ids,)], "words array<array<int>>").select(bpe.merge_column(bpe.F.col("words"), RANKS)).head()[0]
+    heap = [bpe.heap_merge(x, lookup) for x in ids]
+    assert fold == heap == [enc.encode_ordinary(w) for w in words]
