@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.session import tuned
+
 _SPACE = r"\t-\r\x{85}\p{Z}"
 
 #: The usual split of byte-level BPE; \s is spelled out as Unicode white space, which Java's \s isn't.
@@ -36,10 +38,11 @@ JAVA_PATTERN = (
 FOLD_BYTES = 256
 
 #: Pieces in a block at most (a document is never split).
-BLOCK_PIECES = 1 << 19
+BLOCK_PIECES = 1 << 18
 
-#: Distinct words that a task remembers at most; then it starts anew.
-KNOWN_WORDS = 1 << 20
+#: Distinct words, and bytes of them, that a task remembers at most; then it starts anew.
+KNOWN_WORDS = 1 << 18
+KNOWN_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=4)
@@ -180,9 +183,9 @@ def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarr
                 hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BLOCK_PIECES, "right")) - 1)
                 flat = lists.slice(lo, hi - lo).flatten()
                 enc = pc.dictionary_encode(flat.cast(pa.binary()))
-                fresh = len(known) > KNOWN_WORDS
+                fresh = len(known) > KNOWN_WORDS or known.nbytes > KNOWN_BYTES
                 if fresh:
-                    known = known[:0]
+                    known = pa.array([], pa.binary())
                 place = pc.index_in(enc.dictionary, value_set=known)
                 words = enc.dictionary.filter(pc.is_null(place))
                 place = np.array(pc.fill_null(place, -1), dtype=np.int32)
@@ -217,7 +220,7 @@ def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarr
     return pack
 
 
-def _finish(digests: bool, pieces: list[bytes], names: list[str]):
+def _finish(digests: bool, with_ids: bool, pieces: list[bytes], names: list[str]):
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(pieces, pa.large_binary()) if digests else None
         words = pa.array([], pa.list_(pa.int32()))
@@ -246,14 +249,15 @@ def _finish(digests: bool, pieces: list[bytes], names: list[str]):
                         pa.array([sha(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(at, at[1:])], pa.string()),
                         pa.array([sha(data[x:y]).hexdigest() for x, y in zip(cut, cut[1:])], pa.string()),
                     ]
-                else:
+                if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return unpack
 
 
-def _run(docs: DataFrame, text: str, path: str, keep: list[str], digests: bool, out: list[T.StructField]) -> DataFrame:
+def _run(docs: DataFrame, text: str, path: str, keep: list[str], digests: bool, out: list[T.StructField], with_ids: bool = False) -> DataFrame:
+    tuned(docs.sparkSession)
     ranks = load_ranks(path)
     byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
     kept = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(JAVA_PATTERN), 0).alias("_pieces"))
@@ -263,7 +267,7 @@ def _run(docs: DataFrame, text: str, path: str, keep: list[str], digests: bool,
     for token, r in ranks.items():
         pieces[r] = token
     schema = T.StructType([docs.schema[c] for c in keep] + out)
-    return merged.mapInArrow(_finish(digests, pieces if digests else [], schema.fieldNames()), schema)
+    return merged.mapInArrow(_finish(digests, with_ids or not digests, pieces if digests else [], schema.fieldNames()), schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -271,25 +275,41 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
 
     A null text counts as empty and an empty text has no ids; repeated rows stay
     repeated; an empty table gives an empty table; a column that is named as ``ids``
-    is replaced. Long texts stay whole (a block holds at least one document), and a
+    (in any case) is replaced. Long texts stay whole (a block holds at least one document), and a
     word beyond FOLD_BYTES bytes is merged by a heap, with the same result.
     """
-    keep = [c for c in docs.columns if c not in (text, ids)]
+    keep = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())]
     return _run(docs, text, path, keep, False, [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``: the binary concatenation of the ids' pieces, in the JVM. Null ids give null, none give empty bytes; an unknown id fails."""
+    """Add ``out``: the binary concatenation of the ids' pieces, in the JVM. Null ids give null, none give empty bytes; a null, negative or unknown id fails, in every mode of SQL."""
     ranks = load_ranks(path)
     by_id = [""] * (max(ranks.values()) + 1)
     for token, r in ranks.items():
         by_id[r] = token.hex()
     pieces = F.split(F.lit(",".join(by_id)), ",")
-    found = F.transform(F.col(f"`{ids}`"), lambda i: F.element_at(pieces, i + 1))
-    return df.withColumn(out, F.unhex(F.array_join(found, "")))
+
+    def piece(i: Column) -> Column:
+        found = F.when((i >= 0) & (i < len(by_id)), F.get(pieces, i))
+        return F.when(found.isNull() | (found == ""), F.raise_error(F.concat(F.lit("no token has id "), F.coalesce(i.cast("string"), F.lit("null"))))).otherwise(found)
+
+    return df.withColumn(out, F.unhex(F.array_join(F.transform(F.col(f"`{ids}`"), piece), "")))
+
+
+_DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: key, n_tokens, ids_sha256 (ids as little-endian uint32) and decoded_sha256 (bytes that the ids decode to)."""
-    out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _run(docs, text, path, [key], True, out)
+    """Per row of ``docs``: key, n_tokens, ids_sha256 (ids as little-endian uint32) and decoded_sha256 (bytes that the ids decode to).
+
+    Nulls, empty and long texts, repeated rows and empty tables as in ``encode``; other columns aren't looked at.
+    """
+    return _run(docs, text, path, [key], True, _DIGESTS)
+
+
+def encode_checked(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """``encode`` with the columns of ``digests`` before the ids; columns of those names (in any case) are replaced."""
+    new = [*_DIGESTS, T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    taken = {text.lower(), *(f.name.lower() for f in new)}
+    return _run(docs, text, path, [c for c in docs.columns if c.lower() not in taken], True, new, True)
