@@ -110,8 +110,8 @@ def number_rows(df: DataFrame, order: list[str], out: str = "row_number") -> tup
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *[F.col(f"`{c}`").asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_first() for c in order])
-    tagged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_at", 33)
+    tagged = written(ranged.withColumn("_corpusmill_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_corpusmill_at", 33)
     counts = {r["p"]: r["n"] for r in tagged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     base, total = [], 0
     for p in range(max(counts, default=-1) + 1):
@@ -119,7 +119,7 @@ def number_rows(df: DataFrame, order: list[str], out: str = "row_number") -> tup
         total += counts.get(p, 0)
     # one offset a partition: bounded by spark.sql.shuffle.partitions
     offset = F.get(F.split(F.lit(",".join(map(str, base or [0]))), ",").cast("array<bigint>"), part.cast("int"))
-    return tagged.withColumn(out, offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"), total
+    return tagged.withColumn(out, offset + F.col("_corpusmill_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_corpusmill_at"), total
 
 
 def shard(df: DataFrame, order: list[str], shards: int = 16, seed: int = 20240601) -> DataFrame:
@@ -133,8 +133,8 @@ def shard(df: DataFrame, order: list[str], shards: int = 16, seed: int = 2024060
     df = df.drop("row_number", "shard", "slot")
     numbered, n = number_rows(df, order)
     p = place(F.col("row_number"), n, seed)
-    placed = numbered.withColumn("_p", p)
-    return placed.withColumn("shard", (F.col("_p") % shards).cast("int")).withColumn("slot", ((F.col("_p") - F.col("_p") % shards) / shards).cast("long")).drop("_p")
+    placed = numbered.withColumn("_corpusmill_p", p)
+    return placed.withColumn("shard", (F.col("_corpusmill_p") % shards).cast("int")).withColumn("slot", ((F.col("_corpusmill_p") - F.col("_corpusmill_p") % shards) / shards).cast("long")).drop("_corpusmill_p")
 
 
 def assign(docs: DataFrame, shards: int = 16, seed: int = 20240601, key: str = "doc_id", text: str = "text") -> DataFrame:
