@@ -1 +1 @@
-"""Part of corpusmill."""
+"""Scalar functions on columns."""

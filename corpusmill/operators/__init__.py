@@ -1 +1 @@
-"""Part of corpusmill."""
+"""Operators on DataFrames."""

@@ -1 +1 @@
-"""Part of corpusmill."""
+"""Registered queries and their SQL."""

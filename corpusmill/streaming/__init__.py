@@ -1 +1 @@
-"""Part of corpusmill."""
+"""Stateful operators on streams."""
