@@ -3,7 +3,8 @@
 Texts are split by the tokenizer's pattern in the JVM. Rows are then packed
 into blocks of bounded size; each distinct word of a block is one byte array,
 and Spark higher-order functions fold its ranked merges, looking ranks up in a
-literal map from pairs of ids to ids. A task folds a word once: later blocks of
+literal map from pairs of ids to ids. A word that is a token itself is taken as it is, as
+the library does. A task folds a word once: later blocks of
 the task refer to it. Nothing is shuffled, joined or broadcast, so cost is
 linear in the text at every size. Decoding concatenates the binary
 pieces of the ids.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm import words as W
 from corpusmill.session import tuned
 
 _SPACE = r"\t-\r\x{85}\p{Z}"
@@ -37,12 +39,15 @@ JAVA_PATTERN = (
 #: Words of more bytes are merged by a heap in O(n log n): a fold over the whole array for each merge would be quadratic in them.
 FOLD_BYTES = 256
 
+#: Rank of pairs that don't merge.
+_NO = 2**31 - 1
+
 #: Pieces in a block at most (a document is never split).
 BLOCK_PIECES = 1 << 18
 
 #: Distinct words, and bytes of them, that a task remembers at most; then it starts anew.
-KNOWN_WORDS = 1 << 18
-KNOWN_BYTES = 8 << 20
+KNOWN_WORDS = 1 << 19
+KNOWN_BYTES = 12 << 20
 
 
 @lru_cache(maxsize=4)
@@ -109,32 +114,41 @@ def _literal(x: np.ndarray) -> Column:
 def merge_column(words: Column, path: str) -> Column:
     """Merge every array of byte ids in ``words`` (array<array<int>>).
 
-    The state is the ids and the best pair, rank * 2^24 + place (null: none).
-    One step replaces the leftmost pair of the lowest rank.
+    The state is the ids, the rank of each neighbouring pair (_NO: none) and the place of the
+    leftmost pair of the lowest rank (null: none). One step replaces that pair and looks
+    up its two new neighbours; a pair's rank is the id of what it merges into.
     """
     base, owner, rank = map(_literal, rank_map(path))
 
-    def best(ids: Column) -> Column:
-        def pair(a: Column, i: Column) -> Column:
-            slot = F.get(base, a) + F.get(ids, i + 1)
-            return F.when(F.get(owner, slot) == a, F.get(rank, slot).cast("long") * (1 << 24) + i)
+    def pair(a: Column, b: Column) -> Column:
+        slot = F.get(base, a) + b
+        return F.when(F.get(owner, slot) == a, F.get(rank, slot)).otherwise(_NO)
+
+    def state(ids: Column, ranks: Column) -> Column:
+        bound = F.transform(F.array(F.struct(ids.alias("ids"), ranks.alias("ranks"))), place)
+        return F.get(bound, F.lit(0))
 
-        return F.array_min(F.transform(ids, pair))
+    def place(n: Column) -> Column:
+        least = F.array_min(n["ranks"])
+        return F.struct(n["ids"].alias("ids"), n["ranks"].alias("ranks"), F.when(least < _NO, F.array_position(n["ranks"], least).cast("int")).alias("at"))
 
     def step(s: Column, _: Column) -> Column:
-        at = s["best"].bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-        new = F.concat(
-            F.slice(s["ids"], F.lit(1), at),
-            F.array(F.shiftright(s["best"], 24).cast("int")),
-            F.slice(s["ids"], at + 3, F.size(s["ids"])),
+        ids, ranks, at = s["ids"], s["ranks"], s["at"]
+        new = F.get(ranks, at - 1)
+        none = F.slice(ranks, F.lit(1), F.lit(0))
+        moved = state(
+            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, F.size(ids))),
+            F.concat(
+                F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(pair(F.get(ids, at - 2), new)))).otherwise(none),
+                F.when(at < F.size(ranks), F.concat(F.array(pair(new, F.get(ids, at + 1))), F.slice(ranks, at + 2, F.size(ranks)))).otherwise(none),
+            ),
         )
-        moved = F.get(F.transform(F.array(new), lambda n: F.struct(n.alias("ids"), best(n).alias("best"))), F.lit(0))
-        return F.when(s["best"].isNull(), s).otherwise(moved)
+        return F.when(at.isNull(), s).otherwise(moved)
 
     def fold(w: Column) -> Column:
-        return F.aggregate(
-            F.slice(w, F.lit(2), F.size(w)), F.struct(w.alias("ids"), best(w).alias("best")), step, lambda s: s["ids"]
-        )
+        rest = F.slice(w, F.lit(2), F.size(w))
+        start = state(w, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), rest, pair))
+        return F.aggregate(rest, start, step, lambda s: s["ids"])
 
     return F.transform(words, lambda w: F.when(F.size(w) < 2, w).otherwise(fold(w)))
 
@@ -170,8 +184,9 @@ def heap_merge(ids: list[int], lookup: tuple[np.ndarray, np.ndarray, np.ndarray]
 _BLOCK = "payload binary, codes binary, ends binary, fresh boolean, words array<array<int>>"
 
 
-def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarray]):
+def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: list[bytes]):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.array(tokens, pa.binary())
         known = pa.array([], pa.binary())
         for b in batches:
             at = b.schema.get_field_index("_pieces")
@@ -196,6 +211,16 @@ def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarr
                 vals = byte_ids[np.frombuffer(data, np.uint8)[offs[0] : offs[-1]]] if len(words) else np.zeros(0, np.int32)
                 offs = offs - offs[0]
                 lens = np.diff(offs)
+                # a word that is a token needs no merge; of the ids of its bytes one place is kept, for the token
+                token = np.array(pc.fill_null(pc.index_in(words, value_set=whole), -1), dtype=np.int32)
+                hit = np.flatnonzero(token >= 0)
+                if len(hit):
+                    stay = np.repeat(token < 0, lens)
+                    stay[offs[hit]] = True
+                    vals = vals.copy()
+                    vals[offs[hit]] = token[hit]
+                    vals, lens = vals[stay], np.where(token >= 0, 1, lens)
+                    offs = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
                 if len(lens) and lens.max() > FOLD_BYTES:
                     parts = np.split(vals, offs[1:-1])
                     for i in np.flatnonzero(lens > FOLD_BYTES):
@@ -216,6 +241,8 @@ def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarr
                     names=["payload", "codes", "ends", "fresh", "words"],
                 )
                 lo = hi
+        del known
+        W.release()
 
     return pack
 
@@ -252,6 +279,8 @@ def _finish(digests: bool, with_ids: bool, pieces: list[bytes], names: list[str]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        del words, table
+        W.release()
 
     return unpack
 
@@ -261,11 +290,11 @@ def _run(docs: DataFrame, text: str, path: str, keep: list[str], digests: bool,
     ranks = load_ranks(path)
     byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
     kept = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(JAVA_PATTERN), 0).alias("_pieces"))
-    blocks = kept.mapInArrow(_blocks(byte_ids, rank_map(path)), _BLOCK)
-    merged = blocks.select("payload", "codes", "ends", "fresh", merge_column(F.col("words"), path).alias("words"))
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, r in ranks.items():
         pieces[r] = token
+    blocks = kept.mapInArrow(_blocks(byte_ids, rank_map(path), pieces), _BLOCK)
+    merged = blocks.select("payload", "codes", "ends", "fresh", merge_column(F.col("words"), path).alias("words"))
     schema = T.StructType([docs.schema[c] for c in keep] + out)
     return merged.mapInArrow(_finish(digests, with_ids or not digests, pieces if digests else [], schema.fieldNames()), schema)
 
