@@ -116,3 +116,10 @@ def first_rule(x: Column, rules: dict[str, list[str]], other: str = "general") -
         test = F.exists(F.array(*map(F.lit, entries)), lambda k: F.contains(x, k))
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise(other)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Halves away from zero of the scaled double, as DuckDB rounds; F.round rounds the shortest decimal, so that 0.73135 gives 0.7314 instead of 0.7313."""
+    y = F.abs(x) * 10.0**digits
+    low = F.floor(y)
+    return F.signum(x) * ((low + F.when(y - low >= 0.5, 1).otherwise(0)) / 10.0**digits)

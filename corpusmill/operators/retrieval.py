@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import rounded
+
 
 def top(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k of each group, with their rank; Spark keeps k of each group before the shuffle."""
@@ -27,19 +29,20 @@ def vocabulary(terms: DataFrame, docs: int, min_df: int = 2, most: int = 50_000)
 
 def encode(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, idx, weight) with augmented term frequency; the vocabulary is bounded by its limit."""
-    return terms.join(vocab, "term").select(key, "idx", F.round((0.5 + 0.5 * F.col("tf") / F.col("max_tf")) * F.col("idf"), 6).alias("weight"))
+    return terms.join(vocab, "term").select(key, "idx", rounded((0.5 + 0.5 * F.col("tf") / F.col("max_tf")) * F.col("idf"), 6).alias("weight"))
 
 
 def sparse_scores(queries: DataFrame, docs: DataFrame, query: str, doc: str) -> DataFrame:
     """Dot products over shared terms; pairs without one are absent."""
     q = queries.select(query, "idx", F.col("weight").alias("wq"))
-    return docs.join(q, "idx").groupBy(query, doc).agg(F.round(F.sum(F.col("weight") * F.col("wq")), 6).alias("score"))
+    return docs.join(q, "idx").groupBy(query, doc).agg(F.sum(F.col("weight") * F.col("wq")).alias("score")).withColumn("score", rounded(F.col("score"), 6))
 
 
 def normalised(rows: DataFrame, group: list[str]) -> DataFrame:
     """Scores over the largest of their group, within 0 and 1; a largest of 0 counts as 1."""
     best = F.max("score").over(Window.partitionBy(*group))
-    return rows.withColumn("score01", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / F.when(best == 0, 1.0).otherwise(best))), 6))
+    rows = rows.withColumn("score01", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / F.when(best == 0, 1.0).otherwise(best))))
+    return rows.withColumn("score01", rounded(F.col("score01"), 6))
 
 
 def fused(channels: list[DataFrame], group: str, item: str, c: float = 2.0) -> DataFrame:
