@@ -7,10 +7,12 @@ above. Points are packed into an R-tree whose nodes hold the maxima of their coo
 that the same sum bounds all pairs of two nodes; pairs that survive are verified on
 the sets themselves.
 
-To spread the trees over tasks without losing a pair: sets of Jaccard 0.9 share one of
-their first n - ceil(0.9 n) + 1 shingles in any common order, here the rarest first by a
-count sketch over all texts. Classes that share such a shingle are one tree's points
-(large groups are dealt into tiles, each pair of which is one tree join). Surviving pairs
+To spread the trees over tasks without losing a pair: the sets of a pair of Jaccard 0.9
+differ in at most (a + b) / 19 shingles, so when both are cut, by ranges of the hash, into one
+part more than that, one part at least is equal in both. Classes that share a part are
+one tree's points (large groups are dealt into tiles, each pair of which is one tree join;
+of groups of the same classes one is enough). A part holds six shingles or more on average, so that
+texts rarely share one by chance, however many texts there are. Surviving pairs
 give candidate components; the members' sets are brought together once for each component,
 again by tiles, and every pair there is bounded and verified.
 """
@@ -24,14 +26,15 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import words as W
 from corpusmill.llm.components import DRIVER_EDGES, components, forest
-from corpusmill.session import dropped, tuned, written
+from corpusmill.session import dropped, swept, written
 
 SHINGLE = 5
 PERCENT = 90
 GROUPS = 64
 LEAF = 16
-SLOT_BITS, SLICES = 20, 16
-#: Points of a tile of one prefix shingle, and shingles of a tile of one component.
+#: Least sizes of the size classes; all sets of a class, and those of the class below that may be similar to one, are cut into equally many parts.
+EDGES = np.array([1, *(int(8 * 1.5**i) for i in range(64))], np.int64)
+#: Points of a tile of one part, and shingles of a tile of one component.
 TILE_POINTS = 2048
 TILE_SHINGLES = 1 << 19
 #: Members of candidate components (about 50 bytes each) whose list is broadcast at most; more are joined by a shuffle of the texts.
@@ -73,35 +76,21 @@ def set_hash(u: np.ndarray) -> tuple[int, int]:
     return int(x[0]), int(x[1])
 
 
-def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often shingles occur, as log2 of counts by 20 bits of their hash; counts cover all texts. 1 MB, whatever the corpus."""
-    tuned(docs.sparkSession)
-    per = (1 << SLOT_BITS) // SLICES
-
-    def count(batches):
-        total = np.zeros(1 << SLOT_BITS, np.int64)
-        for b in W.chunks(batches, 0):
-            total += np.bincount((_sets(b.column(0))[0] >> _U(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-        for s in range(SLICES):
-            part = total[s * per : (s + 1) * per]
-            if part.any():
-                kind = np.uint16 if part.max() < 65536 else np.int64
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part.astype(kind).tobytes()])], names=["s", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(per, np.int64)
-        for x in table.column("counts"):
-            raw = x.as_buffer()
-            total += np.frombuffer(raw, np.uint16 if raw.size == 2 * per else np.int64)
-        return pa.table({"s": table.column("s")[:1], "counts": [np.log2(total + 1).astype(np.uint8).tobytes()]})
-
-    out = np.zeros((SLICES, per), np.uint8)
-    kind = "s int, counts binary"
-    # two steps, so that no task adds up the counts of all tasks of a large cluster
-    slices = docs.select(F.col(f"`{text}`")).mapInArrow(count, kind)
-    for r in slices.groupBy("s").applyInArrow(add, kind).collect():
-        out[r.s] = np.frombuffer(r.counts, np.uint8)
-    return out.reshape(-1)
+def part_keys(u: np.ndarray) -> np.ndarray:
+    """One number for each part of a sorted set; similar but different sets have one in common."""
+    n = len(u)
+    own = int(np.searchsorted(EDGES, n, "right")) - 1
+    out = [np.zeros(0, np.int64)]
+    if n:
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(W.mix(u, 7), dtype=_U)])
+    # a larger partner may be of the next class
+    for c in range(own, own + 1 + (n * 100 // PERCENT >= EDGES[own + 1])) if n else ():
+        parts = 2 * (int(EDGES[c + 1]) - 1) * (100 - PERCENT) // (100 + PERCENT) + 1
+        if parts > 1:  # else only equal sets are similar
+            ends = np.searchsorted((u >> _U(32)) * _U(parts) >> _U(32), np.arange(parts + 1, dtype=_U))
+            place = W.mix(np.arange(parts, dtype=_U) + _U(c << 40), 11)
+            out.append(W.mix((total[ends[1:]] - total[ends[:-1]]) ^ place, 12).view(np.int64))
+    return np.concatenate(out)
 
 
 def need(a, b):
@@ -177,8 +166,7 @@ def _grouped(batches, keys: int):
 
 
 def _describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, c1, c2, n, counts, keys) of every document: class, set size, point, prefix shingles."""
-    rarity = sketch(docs, text)
+    """(key, c1, c2, n, counts, keys) of every document: class, set size, point, parts."""
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -192,12 +180,7 @@ def _describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                 c2.append(x[1])
                 n.append(size)
                 counts.append(np.minimum(np.bincount((u & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS), _SATURATED).astype(np.uint16).tobytes())
-                if size:
-                    first = size - -(-PERCENT * size // 100) + 1
-                    code = (rarity[(u >> _U(64 - SLOT_BITS)).astype(np.int64)].astype(_U) << _U(57)) | (u >> _U(7))
-                    keys.append(np.partition(code, first - 1)[:first].view(np.int64))
-                else:
-                    keys.append(np.zeros(0, np.int64))
+                keys.append(part_keys(u))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
             return pa.RecordBatch.from_arrays([b.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary()), lists], names=["key", "c1", "c2", "n", "counts", "keys"])
@@ -211,7 +194,7 @@ def _describe(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _adjacent(batches):
     """Of rows sorted by (key, n, cid): those with a neighbour of the same key whose size allows similarity, and a partition's first and last rows, whose neighbours may be elsewhere."""
     held = None
-    first = True
+    first, wanted = True, False
     for b in batches:
         if not b.num_rows:
             continue
@@ -221,27 +204,26 @@ def _adjacent(batches):
         keep = np.zeros(len(k), bool)
         keep[1:] |= near
         keep[:-1] |= near
-        if first:
-            keep[0], first = True, False
-        # the last row waits for its successor; it may come twice, which is harmless
+        keep[0] |= first or wanted
+        # the last row waits for its successor
         yield t.slice(0, len(k) - 1).filter(pa.array(keep[:-1]))
-        if keep[-1]:
-            yield t.slice(len(k) - 1)
-        held = t.slice(len(k) - 1)
+        held, first, wanted = t.slice(len(k) - 1), False, bool(keep[-1])
     if held is not None:
         yield held
 
 
 def _candidate_edges(classes: DataFrame, tile: int = TILE_POINTS) -> DataFrame:
-    """(u, v) of classes joined by pairs that share a prefix shingle and survive the R-tree; enough to connect all such pairs."""
+    """(u, v) of classes joined by pairs that share a part and survive the R-tree; enough to connect all such pairs."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.where("n > 0").select(F.explode("keys").alias("k"), "n", "cid")
-    # ranges over (shingle, size, class): a shingle of very many classes is spread over tasks
+    # ranges over (part, size, class): a part of very many classes is spread over tasks
     near = rows.repartitionByRange(parts, "k", "n", "cid").sortWithinPartitions("k", "n", "cid").mapInArrow(_adjacent, "k long, n long, cid long")
     near = written(near, "near")
-    crowded = near.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > tile).select("k", F.ceil(F.col("c") / tile).cast("int").alias("t"))
-    dealt = near.join(crowded, "k", "left").withColumn("t", F.coalesce("t", F.lit(1))).withColumn("r", F.pmod(F.xxhash64("cid"), "t").cast("int"))
+    # near copies share most of their parts; of parts of the same classes (by 128 bits) one is joined
+    same = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    groups = near.groupBy("k").agg(F.count("*").alias("c"), *same).where("c > 1").groupBy("c", "x0", "x1").agg(F.min("k").alias("k"))
+    dealt = near.join(groups.select("k", F.ceil(F.col("c") / tile).cast("int").alias("t")), "k").withColumn("r", F.pmod(F.xxhash64("cid"), "t").cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     dealt = dealt.select("k", F.least("r", "o").alias("a"), F.greatest("r", "o").alias("b"), "r", "cid")
     points = dealt.join(classes.select("cid", "n", "counts"), "cid").select("k", "a", "b", "r", "cid", "n", "counts")
@@ -259,7 +241,9 @@ def _candidate_edges(classes: DataFrame, tile: int = TILE_POINTS) -> DataFrame:
                 keep = m != root
                 yield pa.RecordBatch.from_arrays([pa.array(m[keep]), pa.array(root[keep])], names=["u", "v"])
 
-    return points.repartition("k", "a", "b").sortWithinPartitions("k", "a", "b").mapInArrow(join, "u long, v long")
+    out = written(points.repartition("k", "a", "b").sortWithinPartitions("k", "a", "b").mapInArrow(join, "u long, v long"), "pairs")
+    dropped(near)
+    return out
 
 
 def verify(sets: list[np.ndarray], n: np.ndarray, c: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +317,9 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, key: str, tex
                 at = np.searchsorted(cid, m)
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(root), pa.array(similar[at])], names=["cid", "other", "similar"])
 
-    return rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(join, "cid long, other long, similar long")
+    out = written(rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(join, "cid long, other long, similar long"), "links")
+    dropped(members)
+    return out
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_points: int = TILE_POINTS, tile_shingles: int = TILE_SHINGLES, driver_edges: int = DRIVER_EDGES) -> DataFrame:
@@ -345,11 +331,21 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_point
     key counts as a document, but a component is named by its least key that isn't null.
     An empty table gives an empty table; other columns aren't looked at; texts are whole.
     """
+    spark = docs.sparkSession
     described = written(_describe(docs, key, text), "described")
     sets = described.where("n > 0").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys"), F.count("*").alias("size"), F.min("key").alias("first"))
     classes = written(sets.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    groups = written(components(_candidate_edges(classes, tile_points), driver_edges), "groups")
-    links = written(_links(docs, classes, groups, key, text, tile_shingles), "links")
+    # the parts, of the size of the sets' tenth each, are not kept longer than needed
+    wide, described = described, written(described.select("key", "c1", "c2", "n"), "ids")
+    dropped(wide)
+    swept(spark)
+    candidates = _candidate_edges(classes, tile_points)
+    wide, classes = classes, written(classes.drop("counts", "keys"), "names")
+    dropped(wide)
+    groups = written(components(candidates, driver_edges), "groups")
+    swept(spark)
+    links = _links(docs, classes, groups, key, text, tile_shingles)
+    swept(spark)
     roots = components(links.select(F.col("cid").alias("u"), F.col("other").alias("v")), driver_edges).withColumnRenamed("v", "cid")
     linked = links.groupBy("cid").agg(F.sum("similar").alias("similar")).join(roots, "cid").join(classes.select("cid", "c1", "c2", "first"), "cid")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
@@ -362,8 +358,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_point
         F.when(F.col("n") == 0, F.col("key")).otherwise(F.coalesce("component", "first")).alias("component_id"),
     )
     out = written(out, "similar")
-    for t in (described, classes, groups, links):
+    for t in (described, classes, candidates, groups, links):
         dropped(t)
+    swept(spark)
     return out
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from corpusmill.llm import chat, decontaminate, jaccard, lines
@@ -136,3 +137,28 @@ def test_chat_trees(spark):
     done = chat.format_trees(spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double"), 2)
     got = {(r.conv_id, r.branch): [t for _, t in chat.read_back(r.formatted)] for r in done.collect()}
     assert got == {(1, 1): ["q", "a", "c", "d"], (1, 2): ["q", "b"], (2, 1): ["orphan"]}
+
+
+def test_jaccard_parts_keep_similar_pairs():
+    r = np.random.default_rng(0)
+    for size in [*range(8, 60), 90, 143, 144, 320, 1000, 5000]:
+        for _ in range(20):
+            b = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+            gone = int(r.integers(0, len(b) // 10 + 1))  # a subset of Jaccard 0.9 or more
+            a = np.sort(r.permutation(b)[gone:])
+            if gone > 1 and r.random() < 0.5:  # some replaced instead of dropped
+                some = len(b) // 20
+                a = np.unique(np.concatenate([r.permutation(b)[some:], r.integers(0, 1 << 63, some).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 90 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+                assert len(np.intersect1d(jaccard.part_keys(a), jaccard.part_keys(b))), (len(a), len(b), both)
+
+
+def test_jaccard_common_passages_share_no_part(spark):
+    # every shingle stands in several texts, no two texts are similar: nothing is to be moved for the trees
+    r = random.Random(2)
+    pool = [" ".join(r.choice("abcdefghij") + str(r.randrange(900)) for _ in range(25)) for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(r.sample(pool, 30))) for i in range(60)], DOCS)
+    keys = jaccard._describe(docs, "doc_id", "text").selectExpr("explode(keys) AS k")
+    shared = keys.groupBy("k").count().where("count > 1").agg({"count": "sum"}).head()[0] or 0
+    assert shared <= 0.02 * keys.count()
