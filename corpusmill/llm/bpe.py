@@ -3,7 +3,7 @@
 Texts are split by the tokenizer's pattern in the JVM. Rows are then packed
 into blocks of bounded size; each distinct word of a block is one byte array,
 and Spark higher-order functions fold its ranked merges, looking ranks up in a
-literal map from pairs of ids to ids. A word that is a token itself is taken as it is, as
+map from pairs of ids to ids that comes with the block. A word that is a token itself is taken as it is, as
 the library does. A task folds a word once: later blocks of
 the task refer to it. Nothing is shuffled, joined or broadcast, so cost is
 linear in the text at every size. Decoding concatenates the binary
@@ -106,23 +106,36 @@ def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return base, owner, rank
 
 
-def _literal(x: np.ndarray) -> Column:
-    """An int array that constant folding turns into one literal."""
-    return F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<int>")
+def _literal(x: np.ndarray, kind: str = "int") -> Column:
+    """An array that constant folding turns into one literal."""
+    return F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast(f"array<{kind}>")
 
 
-def merge_column(words: Column, path: str) -> Column:
+def packed(owner: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """Owner and rank of each slot in one number, and the bits of the rank."""
+    bits = int(max(owner.max(), rank.max()) + 1).bit_length()  # all ones, an empty slot, is no id
+    both = np.where(owner < 0, -1, owner.astype(np.int64) << bits | rank)
+    return (both if bits > 16 else both.astype(np.int32)), bits
+
+
+def merge_column(words: Column, path: str, base: Column | None = None, table: Column | None = None) -> Column:
     """Merge every array of byte ids in ``words`` (array<array<int>>).
 
+    ``base`` and ``table`` are columns with the base of ``rank_map`` and its ``packed`` slots. Without
+    them both become literals, which the driver holds as boxed objects and as text in each plan and event.
+
     The state is the ids, the rank of each neighbouring pair (_NO: none) and the place of the
     leftmost pair of the lowest rank (null: none). One step replaces that pair and looks
     up its two new neighbours; a pair's rank is the id of what it merges into.
     """
-    base, owner, rank = map(_literal, rank_map(path))
+    first, owner, rank = rank_map(path)
+    both, bits = packed(owner, rank)
+    if base is None or table is None:
+        base, table = _literal(first), _literal(both, "bigint" if both.dtype == np.int64 else "int")
 
     def pair(a: Column, b: Column) -> Column:
-        slot = F.get(base, a) + b
-        return F.when(F.get(owner, slot) == a, F.get(rank, slot)).otherwise(_NO)
+        slot = F.get(table, F.get(base, a) + b)
+        return F.when(F.shiftrightunsigned(slot, bits) == a, slot.bitwiseAND((1 << bits) - 1).cast("int")).otherwise(_NO)
 
     def state(ids: Column, ranks: Column) -> Column:
         bound = F.transform(F.array(F.struct(ids.alias("ids"), ranks.alias("ranks"))), place)
@@ -181,13 +194,14 @@ def heap_merge(ids: list[int], lookup: tuple[np.ndarray, np.ndarray, np.ndarray]
     return [x for x in ids if x >= 0]
 
 
-_BLOCK = "payload binary, codes binary, ends binary, fresh boolean, words array<array<int>>"
+_BLOCK = "payload binary, codes binary, ends binary, fresh boolean, words array<array<int>>, base array<int>, pairs array<{}>"
 
 
 def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: list[bytes]):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.array(tokens, pa.binary())
         known = pa.array([], pa.binary())
+        table = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (lookup[0], packed(*lookup[1:])[0])]
         for b in batches:
             at = b.schema.get_field_index("_pieces")
             lists = b.column(at)
@@ -237,8 +251,9 @@ def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarr
                         pa.array([(ends[lo + 1 : hi + 1] - ends[lo]).tobytes()], pa.binary()),
                         pa.array([fresh]),
                         pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner),
+                        *table,
                     ],
-                    names=["payload", "codes", "ends", "fresh", "words"],
+                    names=["payload", "codes", "ends", "fresh", "words", "base", "pairs"],
                 )
                 lo = hi
         del known
@@ -293,8 +308,10 @@ def _run(docs: DataFrame, text: str, path: str, keep: list[str], digests: bool,
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, r in ranks.items():
         pieces[r] = token
-    blocks = kept.mapInArrow(_blocks(byte_ids, rank_map(path), pieces), _BLOCK)
-    merged = blocks.select("payload", "codes", "ends", "fresh", merge_column(F.col("words"), path).alias("words"))
+    lookup = rank_map(path)
+    kind = "bigint" if packed(*lookup[1:])[0].dtype == np.int64 else "int"
+    blocks = kept.mapInArrow(_blocks(byte_ids, lookup, pieces), _BLOCK.format(kind))
+    merged = blocks.select("payload", "codes", "ends", "fresh", merge_column(F.col("words"), path, F.col("base"), F.col("pairs")).alias("words"))
     schema = T.StructType([docs.schema[c] for c in keep] + out)
     return merged.mapInArrow(_finish(digests, with_ids or not digests, pieces if digests else [], schema.fieldNames()), schema)
 

@@ -192,6 +192,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             ys.append(names.index(lang))
     net = Net(len(names))
     net.fit(np.array(xs), np.array(ys))
+    del got, xs, ys
+    W.release()  # the driver goes on to other stages
     return Model(net, names)
 
 

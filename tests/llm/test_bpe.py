@@ -3,6 +3,7 @@
 import base64
 import random
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -39,3 +40,22 @@ def test_heap_as_fold(spark):
     fold = spark.createDataFrame([(ids,)], "words array<array<int>>").select(bpe.merge_column(bpe.F.col("words"), RANKS)).head()[0]
     heap = [bpe.heap_merge(x, lookup) for x in ids]
     assert fold == heap == [enc.encode_ordinary(w) for w in words]
+
+
+def test_packed_ranks():
+    base, owner, rank = bpe.rank_map(RANKS)
+    both, bits = bpe.packed(owner, rank)
+    assert both.dtype == np.int32 and bits == 16
+    raw = both.view(np.uint32)
+    taken = owner >= 0
+    assert (raw[taken] >> bits == owner[taken]).all() and (raw[taken] & 0xFFFF == rank[taken]).all()
+    assert (both[~taken] == -1).all() and max(owner.max(), rank.max()) < 0xFFFF
+    wide, bits = bpe.packed(np.array([70_000, -1]), np.array([99_999, 0]))
+    assert bits == 17 and wide.tolist() == [70_000 << 17 | 99_999, -1]
+
+
+def test_plan_holds_no_table(spark):
+    # as literals the ranks made 11 MB of text for each event of a query, and filled the driver
+    docs = spark.createDataFrame([(1, "some text")], "doc_id int, text string")
+    plan = bpe.digests(docs, RANKS)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 200_000
