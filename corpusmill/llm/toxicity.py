@@ -9,6 +9,8 @@ is one narrow pass over the whole texts.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import words as W
 from corpusmill.llm.sample import fold, per_label
+from corpusmill.session import dropped, written
 
 BITS = 20
 STEM = 4
@@ -68,13 +71,8 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature numbers, weights, intercept), learnt from rows outside the held-out fold.
-
-    Labels are drawn first (narrow rows, bounded by ``rows`` a class), so that no text is
-    moved for the join. A document with several labels counts as toxic if one says so;
-    null labels and null texts take no part; without any label the score is 0.5.
-    """
+def examples(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(k, y, at, x) of the drawn labelled texts outside the held-out fold, written in many parts: the driver takes in one at a time."""
     seen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
     drawn = per_label(seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", rows, "doc_id")
     # at most 4 * rows labels of two numbers each: a bounded broadcast
@@ -94,8 +92,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
 
         return one
 
-    got = W.per_text(texts, ["text", "k", "toxic"], make, "k long, y int, at binary, x binary").limit(4 * rows)
-    train = sorted((r.k, r.y, bytes(r.at), bytes(r.x)) for r in got.toLocalIterator())
+    return written(W.per_text(texts, ["text", "k", "toxic"], make, "k long, y int, at binary, x binary"), "examples")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature numbers, weights, intercept), learnt from rows outside the held-out fold.
+
+    Labels are drawn first (narrow rows, bounded by ``rows`` a class), so that no text is
+    moved for the join. A document with several labels counts as toxic if one says so;
+    null labels and null texts take no part; without any label the score is 0.5.
+    """
+    got = examples(docs, labels, rows)
+    train = sorted((r.k, r.y, bytes(r.at), bytes(r.x)) for r in islice(got.toLocalIterator(), 4 * rows))
+    dropped(got)
     model = Ftrl()
     order = np.random.default_rng(0)
     for _ in range(EPOCHS):

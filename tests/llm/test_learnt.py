@@ -109,3 +109,13 @@ def test_pipeline(spark):
     last = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r.doc_id for r in last) == sorted(r.doc_id for r in kept.collect())
     assert all(r.n_tokens == len(r.token_ids) for r in last)
+
+
+def test_toxicity_examples_in_parts(spark):
+    # one part with all of them did not fit the driver
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").repartition(8), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.examples(docs, labels)
+    assert len(got.inputFiles()) >= 6
+    drawn = {r.doc_id for r in labels.where("toxic IN (0, 1)").collect()}
+    assert 0 < got.count() <= len(drawn)
