@@ -39,9 +39,6 @@ JAVA_PATTERN = (
 #: Words of more bytes are merged by a heap in O(n log n): a fold over the whole array for each merge would be quadratic in them.
 FOLD_BYTES = 256
 
-#: Rank of pairs that don't merge.
-_NO = 2**31 - 1
-
 #: Pieces in a block at most (a document is never split).
 BLOCK_PIECES = 1 << 18
 
@@ -118,52 +115,128 @@ def packed(owner: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
     return (both if bits > 16 else both.astype(np.int32)), bits
 
 
-def merge_column(words: Column, path: str, base: Column | None = None, table: Column | None = None) -> Column:
-    """Merge every array of byte ids in ``words`` (array<array<int>>).
-
-    ``base`` and ``table`` are columns with the base of ``rank_map`` and its ``packed`` slots. Without
-    them both become literals, which the driver holds as boxed objects and as text in each plan and event.
+class _Codes:
+    """The numbers that the fold works on: rank of the pair to the right, place in the word and id of a piece in one bigint.
 
-    The state is the ids, the rank of each neighbouring pair (_NO: none) and the place of the
-    leftmost pair of the lowest rank (null: none). One step replaces that pair and looks
-    up its two new neighbours; a pair's rank is the id of what it merges into.
+    A word of at most ``longest`` bytes has as its state the code of each piece, between two of ``end``, an id that no pair has. The least
+    code is the leftmost pair of the lowest rank. A rank is an id, the one that the pair merges into;
+    pairs that don't merge have ``1 << bits`` or more. ``base`` and ``table`` have the lookup of
+    ``rank_map`` with room at both ends, so that no slot lies outside.
     """
-    first, owner, rank = rank_map(path)
-    both, bits = packed(owner, rank)
-    if base is None or table is None:
-        base, table = _literal(first), _literal(both, "bigint" if both.dtype == np.int64 else "int")
 
-    def pair(a: Column, b: Column) -> Column:
-        slot = F.get(table, F.get(base, a) + b)
-        return F.when(F.shiftrightunsigned(slot, bits) == a, slot.bitwiseAND((1 << bits) - 1).cast("int")).otherwise(_NO)
+    def __init__(self, lookup: tuple[np.ndarray, np.ndarray, np.ndarray], longest: int = FOLD_BYTES):
+        base, owner, rank = lookup
+        self.end = len(base)
+        # the bits have room for ``end`` too, so that no id looks like another or like an empty slot
+        both, self.bits = packed(np.append(owner, -1), np.append(rank, self.end))
+        self.id_bits = self.end.bit_length()
+        self.place_bits = longest.bit_length()
+        self.shift = self.id_bits + self.place_bits
+        if self.bits + self.shift > 61:
+            raise ValueError("too many tokens for the fold's codes")
+        low = max(0, -int(base.min()))
+        self.base = np.append(base + low, 0).astype(np.int32)
+        self.table = np.full(max(int(self.base.max()) + self.end + 1, low + len(both)), -1, both.dtype)
+        self.table[low : low + len(both)] = both
+        self.none = np.int64(1 << self.bits)
+
+    def states(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and codes of words that ``offs`` cuts out of ``ids``."""
+        n = len(offs) - 1
+        at = np.arange(len(ids)) + 2 * np.repeat(np.arange(n), np.diff(offs)) + 1
+        out = offs.astype(np.int64) + 2 * np.arange(n + 1)
+        flat = np.full(int(out[-1]), self.end, np.int64)
+        flat[at] = ids
+        place = np.zeros(len(flat), np.int64)
+        place[at] = np.minimum(at - np.repeat(out[:-1], np.diff(offs)), (1 << self.place_bits) - 1)
+        rank = np.full(len(flat), self.none)
+        found = self.table[self.base[flat[:-1]] + flat[1:]].astype(np.int64)
+        if self.table.dtype == np.int32:
+            found &= 0xFFFFFFFF
+        rank[:-1] = np.where(found >> self.bits == flat[:-1], found & (int(self.none) - 1), self.none)
+        return out.astype(np.int32), rank << self.shift | place << self.id_bits | flat
+
+    def ids(self, codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of the words in folded states."""
+        inner = np.ones(len(codes), bool)
+        inner[offs[:-1]] = inner[offs[1:] - 1] = False
+        return (offs - 2 * np.arange(len(offs))).astype(np.int32), (codes[inner] & ((1 << self.id_bits) - 1)).astype(np.int32)
+
+
+@lru_cache(maxsize=4)
+def codes(path: str, longest: int = FOLD_BYTES) -> _Codes:
+    return _Codes(rank_map(path), longest)
 
-    def state(ids: Column, ranks: Column) -> Column:
-        bound = F.transform(F.array(F.struct(ids.alias("ids"), ranks.alias("ranks"))), place)
-        return F.get(bound, F.lit(0))
 
-    def place(n: Column) -> Column:
-        least = F.array_min(n["ranks"])
-        return F.struct(n["ids"].alias("ids"), n["ranks"].alias("ranks"), F.when(least < _NO, F.array_position(n["ranks"], least).cast("int")).alias("at"))
+def _with(x: Column, use) -> Column:
+    """``use`` of ``x``, which is evaluated once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def fold_column(states: Column, c: _Codes, base: Column, table: Column) -> Column:
+    """Merge every state (see ``_Codes``) in ``states`` (array<array<bigint>>).
+
+    One step replaces the leftmost pair of the lowest rank, and looks up its two new neighbours.
+    """
+    low, place = (1 << c.id_bits) - 1, (1 << c.shift) - (1 << c.id_bits)
+    narrow = c.table.dtype == np.int32
+    most = F.lit(int(c.none) << c.shift).cast("bigint")
+
+    def rank(a: Column, b: Column) -> Column:
+        """The code's part of the pair of two ids (int)."""
+        found = F.get(table, F.get(base, a) + b)
+        if narrow:
+            found = F.shiftleft(a, c.bits).bitwiseXOR(found).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+        else:
+            found = F.shiftleft(a.cast("bigint"), c.bits).bitwiseXOR(found).bitwiseAND(F.lit((1 << 2 * c.bits) - 1))
+        if 2 * c.bits + c.shift > 62:
+            found = F.least(found, F.lit(int(c.none)).cast("bigint"))
+        return F.shiftleft(found, c.shift)
+
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(low).cast("bigint")).cast("int")
+
+    def merged(s: Column, least: Column, at: Column) -> Column:
+        left = F.get(s, at - 2)
+
+        def pair(new: Column) -> Column:
+            return F.array(
+                rank(id_of(left), new).bitwiseOR(left.bitwiseAND(F.lit(low | place).cast("bigint"))),
+                rank(new, id_of(F.get(s, at + 1))).bitwiseOR(least.bitwiseAND(F.lit(place).cast("bigint"))).bitwiseOR(new.cast("bigint")),
+            )
+
+        new = F.shiftright(least, c.shift).cast("int")
+        return F.concat(F.slice(s, F.lit(1), at - 2), pair(new), F.slice(s, at + 2, F.size(s)))
 
     def step(s: Column, _: Column) -> Column:
-        ids, ranks, at = s["ids"], s["ranks"], s["at"]
-        new = F.get(ranks, at - 1)
-        none = F.slice(ranks, F.lit(1), F.lit(0))
-        moved = state(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, F.size(ids))),
-            F.concat(
-                F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(pair(F.get(ids, at - 2), new)))).otherwise(none),
-                F.when(at < F.size(ranks), F.concat(F.array(pair(new, F.get(ids, at + 1))), F.slice(ranks, at + 2, F.size(ranks)))).otherwise(none),
-            ),
-        )
-        return F.when(at.isNull(), s).otherwise(moved)
-
-    def fold(w: Column) -> Column:
-        rest = F.slice(w, F.lit(2), F.size(w))
-        start = state(w, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), rest, pair))
-        return F.aggregate(rest, start, step, lambda s: s["ids"])
-
-    return F.transform(words, lambda w: F.when(F.size(w) < 2, w).otherwise(fold(w)))
+        return _with(F.array_min(s), lambda least: F.when(least >= most, s).otherwise(_with(F.array_position(s, least).cast("int"), lambda at: merged(s, least, at))))
+
+    def fold(s: Column) -> Column:
+        # a word of n pieces has n - 1 merges at most
+        return F.when(F.array_min(s) >= most, s).otherwise(F.aggregate(F.slice(s, F.lit(4), F.size(s)), s, step))
+
+    return F.transform(states, fold)
+
+
+def merge_column(words: Column, path: str) -> Column:
+    """Merge every array of up to 2^24 byte ids in ``words`` (array<array<int>>), with the ranks as literals, which the driver holds as text in each plan and event."""
+    c = codes(path, 1 << 24)
+    base, table = _literal(c.base), _literal(c.table, "bigint" if c.table.dtype == np.int64 else "int")
+    low = F.lit((1 << c.id_bits) - 1).cast("bigint")
+
+    def state(w: Column) -> Column:
+        ids = F.concat(F.array(F.lit(c.end)), w, F.array(F.lit(c.end)))
+
+        def code(a: Column, i: Column) -> Column:
+            found = F.get(table, F.get(base, a) + F.get(ids, i + 1))
+            hit = F.shiftrightunsigned(found, c.bits) == a
+            rank = F.when(hit, found.bitwiseAND(int(c.none) - 1)).otherwise(int(c.none)).cast("bigint")
+            return F.shiftleft(rank, c.shift).bitwiseOR(F.shiftleft(F.least(i, F.lit((1 << c.place_bits) - 1)).cast("bigint"), c.id_bits)).bitwiseOR(a.cast("bigint"))
+
+        return F.transform(ids, code)
+
+    folded = fold_column(F.transform(words, state), c, base, table)
+    return F.transform(folded, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(low).cast("int")))
 
 
 def heap_merge(ids: list[int], lookup: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[int]:
@@ -194,14 +267,14 @@ def heap_merge(ids: list[int], lookup: tuple[np.ndarray, np.ndarray, np.ndarray]
     return [x for x in ids if x >= 0]
 
 
-_BLOCK = "payload binary, codes binary, ends binary, fresh boolean, words array<array<int>>, base array<int>, pairs array<{}>"
+_BLOCK = "payload binary, codes binary, ends binary, fresh boolean, words array<array<bigint>>, base array<int>, pairs array<{}>"
 
 
-def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: list[bytes]):
+def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: list[bytes], c: _Codes):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.array(tokens, pa.binary())
         known = pa.array([], pa.binary())
-        table = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (lookup[0], packed(*lookup[1:])[0])]
+        table = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (c.base, c.table)]
         for b in batches:
             at = b.schema.get_field_index("_pieces")
             lists = b.column(at)
@@ -240,7 +313,7 @@ def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarr
                     for i in np.flatnonzero(lens > FOLD_BYTES):
                         parts[i] = np.array(heap_merge(parts[i].tolist(), lookup), np.int32)
                     vals, offs = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-                inner = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(vals, pa.int32()))
+                inner = pa.ListArray.from_arrays(*map(pa.array, c.states(vals, offs)))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rest.schema) as w:
                     w.write_batch(rest.slice(lo, hi - lo))
@@ -262,7 +335,7 @@ def _blocks(byte_ids: np.ndarray, lookup: tuple[np.ndarray, np.ndarray, np.ndarr
     return pack
 
 
-def _finish(digests: bool, with_ids: bool, pieces: list[bytes], names: list[str]):
+def _finish(digests: bool, with_ids: bool, pieces: list[bytes], names: list[str], c: _Codes):
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(pieces, pa.large_binary()) if digests else None
         words = pa.array([], pa.list_(pa.int32()))
@@ -272,7 +345,7 @@ def _finish(digests: bool, with_ids: bool, pieces: list[bytes], names: list[str]
                 codes = np.frombuffer(b.column(1)[k].as_buffer(), np.int32)
                 ends = np.concatenate([[0], np.frombuffer(b.column(2)[k].as_buffer(), np.int64)])
                 new = b.column(4)[k].values
-                new = pa.ListArray.from_arrays(pc.subtract(new.offsets, new.offsets[0]), new.flatten())
+                new = pa.ListArray.from_arrays(*map(pa.array, c.ids(np.asarray(new.flatten()), np.asarray(pc.subtract(new.offsets, new.offsets[0])))))
                 words = new if b.column(3)[k].as_py() else pa.concat_arrays([words, new])
                 lens = np.asarray(pc.list_value_length(words), dtype=np.int64)
                 at = np.concatenate([[0], np.cumsum(lens[codes])])[ends]
@@ -308,12 +381,11 @@ def _run(docs: DataFrame, text: str, path: str, keep: list[str], digests: bool,
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, r in ranks.items():
         pieces[r] = token
-    lookup = rank_map(path)
-    kind = "bigint" if packed(*lookup[1:])[0].dtype == np.int64 else "int"
-    blocks = kept.mapInArrow(_blocks(byte_ids, lookup, pieces), _BLOCK.format(kind))
-    merged = blocks.select("payload", "codes", "ends", "fresh", merge_column(F.col("words"), path, F.col("base"), F.col("pairs")).alias("words"))
+    c = codes(path)
+    blocks = kept.mapInArrow(_blocks(byte_ids, rank_map(path), pieces, c), _BLOCK.format("bigint" if c.table.dtype == np.int64 else "int"))
+    merged = blocks.select("payload", "codes", "ends", "fresh", fold_column(F.col("words"), c, F.col("base"), F.col("pairs")).alias("words"))
     schema = T.StructType([docs.schema[c] for c in keep] + out)
-    return merged.mapInArrow(_finish(digests, with_ids or not digests, pieces if digests else [], schema.fieldNames()), schema)
+    return merged.mapInArrow(_finish(digests, with_ids or not digests, pieces if digests else [], schema.fieldNames(), c), schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
