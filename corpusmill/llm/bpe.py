@@ -141,20 +141,28 @@ class _Codes:
         self.none = np.int64(1 << self.bits)
 
     def states(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets and codes of words that ``offs`` cuts out of ``ids``."""
+        """Offsets and codes of words that ``offs`` cuts out of ``ids``, made for a few thousand words at a time to need little memory."""
         n = len(offs) - 1
-        at = np.arange(len(ids)) + 2 * np.repeat(np.arange(n), np.diff(offs)) + 1
         out = offs.astype(np.int64) + 2 * np.arange(n + 1)
-        flat = np.full(int(out[-1]), self.end, np.int64)
+        codes = np.empty(int(out[-1]), np.int64)
+        for lo in range(0, n, 4096):
+            hi = min(n, lo + 4096)
+            codes[out[lo] : out[hi]] = self._some(ids[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        return out.astype(np.int32), codes
+
+    def _some(self, ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        n, lens = len(offs) - 1, np.diff(offs)
+        at = np.arange(len(ids)) + 2 * np.repeat(np.arange(n), lens) + 1
+        flat = np.full(len(ids) + 2 * n, self.end, np.int64)
         flat[at] = ids
         place = np.zeros(len(flat), np.int64)
-        place[at] = np.minimum(at - np.repeat(out[:-1], np.diff(offs)), (1 << self.place_bits) - 1)
+        place[at] = np.minimum(np.arange(len(ids)) - np.repeat(offs[:-1], lens) + 1, (1 << self.place_bits) - 1)
         rank = np.full(len(flat), self.none)
         found = self.table[self.base[flat[:-1]] + flat[1:]].astype(np.int64)
         if self.table.dtype == np.int32:
             found &= 0xFFFFFFFF
         rank[:-1] = np.where(found >> self.bits == flat[:-1], found & (int(self.none) - 1), self.none)
-        return out.astype(np.int32), rank << self.shift | place << self.id_bits | flat
+        return rank << self.shift | place << self.id_bits | flat
 
     def ids(self, codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the words in folded states."""
