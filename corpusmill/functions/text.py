@@ -74,14 +74,26 @@ def chunk_key(x: Column) -> Column:
     return F.sha1(F.lower(collapse(x)))
 
 
-def simhash64(words: Column) -> Column:
-    """64-bit simhash of distinct words by the low half of their md5; no words give 0."""
-    hashes = F.transform(F.array_distinct(words), lambda w: F.conv(F.substring(F.md5(w), 17, 16), 16, -10).cast("long"))
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda b: F.when(F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.call_function("getbit", h, b) == 1, 1).otherwise(-1)) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")),
-    )
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+def hash64(word: Column) -> Column:
+    """The low half of a word's md5."""
+    return F.conv(F.substring(F.md5(word), 17, 16), 16, -10).cast("long")
+
+
+def simhash64(h: Column) -> Column:
+    """Aggregate: 64-bit simhash of a group of ``hash64``; nulls don't count, and no hashes give 0.
+
+    Each of 32 sums counts two bits at once, in its two halves, so that a hash costs 32 additions."""
+    votes = F.count(h)
+
+    def majority(ones: Column, b: int) -> Column:
+        return F.when(2 * ones > votes, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
+
+    out = None
+    for b in range(32):
+        s = F.sum(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(0x1_0000_0001)))
+        for bit in (majority(s.bitwiseAND(F.lit(0xFFFF_FFFF)), b), majority(F.shiftrightunsigned(s, 32), b + 32)):
+            out = bit if out is None else out.bitwiseOR(bit)
+    return out
 
 
 def hamming(a: Column, b: Column) -> Column:
