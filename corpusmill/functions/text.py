@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,12 +30,19 @@ def _accents() -> tuple[str, str]:
 
 
 _FROM, _TO = _accents()
+#: What ``fold`` turns to one blank; single blanks, nearly all of it, are passed over.
+_BREAK = SPACE.removesuffix("]+") + r"_/\\\-"
+_GAP = rf"{_BREAK}&&[^ ]]{_BREAK}]*+| {_BREAK}]++"
+
+
+def unaccented(x: Column) -> Column:
+    """Precomposed letters without accents; only text with any is looked through letter by letter."""
+    return F.when(F.rlike(x, F.lit(r"[^\x00-\x7F]")), F.translate(x, _FROM, _TO)).otherwise(x)
 
 
 def fold(x: Column) -> Column:
     """Lower case without accents, for text in precomposed Latin, Greek or Cyrillic letters; ``fold_any`` is for all of Unicode."""
-    folded = F.translate(F.lower(x), _FROM, _TO)
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[_/\\-]+", " "), SPACE, " "))
+    return F.trim(F.regexp_replace(unaccented(F.lower(x)), _GAP, " "))
 
 
 def _fold_any(x: pd.Series) -> pd.Series:
@@ -111,21 +119,21 @@ def years(x: Column) -> Column:
 
 
 def hits(x: Column, lexicon: list[str]) -> Column:
-    """Entries of a lexicon (a short list) that the text contains, in its order."""
-    return F.filter(F.array(*map(F.lit, lexicon)), lambda k: F.contains(x, k))
+    """Entries of a lexicon (a short list) that the text contains, in its order. ``x`` stands once for each entry: give it as a column that is made before."""
+    return F.array_compact(F.array(*[F.when(F.contains(x, F.lit(k)), F.lit(k)) for k in lexicon]))
 
 
 def aliases(x: Column, names: dict[str, list[str]]) -> Column:
-    """Canonical names with an alias standing as a word of the text, in the order of ``names``."""
+    """Canonical names with an alias standing as a word of the text, in the order of ``names``. ``x`` is to be a column, as for ``hits``."""
     tests = [F.when(x.rlike("(?<![\\p{L}\\p{N}_])(?:" + "|".join(a) + ")(?![\\p{L}\\p{N}_])"), F.lit(n)) for n, a in names.items()]
     return F.array_compact(F.array(*tests))
 
 
 def first_rule(x: Column, rules: dict[str, list[str]], other: str = "general") -> Column:
-    """The first rule (in order) with any entry contained in the text."""
+    """The first rule (in order) with any entry contained in the text. ``x`` is to be a column, as for ``hits``."""
     out = None
     for name, entries in rules.items():
-        test = F.exists(F.array(*map(F.lit, entries)), lambda k: F.contains(x, k))
+        test = reduce(Column.__or__, [F.contains(x, F.lit(k)) for k in entries])
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise(other)
 
