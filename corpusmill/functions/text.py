@@ -71,11 +71,25 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(TOKEN), 0)
 
 
+def plain_words(x: Column) -> Column:
+    """Words of the folded text; those fit for the sparse index pass ``is_term``. The blanks that ``fold`` makes of other separators part no more words, except for underscores."""
+    return F.regexp_extract_all(unaccented(F.lower(x)), F.lit(PLAIN_TOKEN.replace("_", "")), 0)
+
+
+def is_term(w: Column, stop: list[str]) -> Column:
+    """Two characters or more, no stop words, no numbers with units."""
+    return (F.length(w) >= 2) & ~w.isin(*stop) & ~F.rlike(w, F.lit(r"^[0-9]+([hmds]?[a-zA-Z]*)?$"))
+
+
 def sparse_tokens(x: Column, stop: list[str]) -> Column:
-    """Words of the folded text for the sparse index: two characters or more, no stop words, no numbers with units."""
-    words = F.regexp_extract_all(fold(x), F.lit(PLAIN_TOKEN), 0)
-    number = r"^[0-9]+([hmds]?[a-zA-Z]*)?$"
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stop) & ~F.rlike(w, F.lit(number)))
+    """Words of the folded text for the sparse index."""
+    return F.filter(plain_words(x), lambda w: is_term(w, stop))
+
+
+def has_terms(x: Column, stop: list[str]) -> Column:
+    """Whether ``sparse_tokens`` has any: at once where a word of ASCII letters, longer than any stop word, stands between blanks."""
+    plain = rf"(?<![^ ])[a-zA-Z]{{{max(map(len, [*stop, 'x'])) + 1},}}(?![^ ])"
+    return F.when(F.rlike(x, F.lit(plain)), True).otherwise(F.size(sparse_tokens(x, stop)) > 0)
 
 
 def chunk_key(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,29 +15,33 @@ def top(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("int")).where(F.col("rank") <= k)
 
 
-def term_counts(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, term, tf, max_tf) of every distinct term."""
-    terms = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return terms.withColumn("max_tf", F.max("tf").over(Window.partitionBy(key)))
+def term_counts(docs: DataFrame, key: str, words: Column, kept: Callable[[Column], Column]) -> DataFrame:
+    """(key, term, tf, max_tf) of every distinct term that is ``kept``.
+
+    The texts are brought together by key, which moves less than their terms and is all the moving that counts,
+    maxima and scores by key need. An outer explode: before an inner one Spark puts filters that make the words again."""
+    terms = docs.repartition(key).select(key, F.explode_outer(words).alias("term")).where(F.col("term").isNotNull() & kept(F.col("term")))
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf")).withColumn("max_tf", F.max("tf").over(Window.partitionBy(key)))
 
 
-def vocabulary(terms: DataFrame, docs: int, min_df: int = 2, most: int = 50_000) -> DataFrame:
-    """(term, df, idx, idf): the most frequent terms, then those in ``min_df`` documents, numbered by their order."""
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    kept = df.orderBy(F.desc("df"), "term").limit(most).where(F.col("df") >= min_df)
+def vocabulary(terms: DataFrame, docs: DataFrame, min_df: int = 2, most: int = 50_000) -> DataFrame:
+    """(term, df, idx, idf): the most frequent terms, then those in ``min_df`` documents, numbered by their order; ``docs`` is one row with the number n of documents."""
+    # rarer terms come last, so they may go before the limit
+    df = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    kept = df.orderBy(F.desc("df"), "term").limit(most).crossJoin(F.broadcast(docs))
     # at most ``most`` terms pass this one task
-    return kept.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), F.round(F.ln((docs + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+    return kept.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
 def encode(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, idx, weight) with augmented term frequency; the vocabulary is bounded by its limit."""
-    return terms.join(vocab, "term").select(key, "idx", rounded((0.5 + 0.5 * F.col("tf") / F.col("max_tf")) * F.col("idf"), 6).alias("weight"))
+    return terms.join(F.broadcast(vocab), "term").select(key, "idx", rounded((0.5 + 0.5 * F.col("tf") / F.col("max_tf")) * F.col("idf"), 6).alias("weight"))
 
 
 def sparse_scores(queries: DataFrame, docs: DataFrame, query: str, doc: str) -> DataFrame:
-    """Dot products over shared terms; pairs without one are absent."""
+    """Dot products over shared terms; pairs without one are absent. Queries are few and go to the documents, which stay where their terms are."""
     q = queries.select(query, "idx", F.col("weight").alias("wq"))
-    return docs.join(q, "idx").groupBy(query, doc).agg(F.sum(F.col("weight") * F.col("wq")).alias("score")).withColumn("score", rounded(F.col("score"), 6))
+    return docs.join(F.broadcast(q), "idx").groupBy(query, doc).agg(F.sum(F.col("weight") * F.col("wq")).alias("score")).withColumn("score", rounded(F.col("score"), 6))
 
 
 def normalised(rows: DataFrame, group: list[str]) -> DataFrame:
