@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 WORD = r"[\p{L}\p{N}_]"
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 PLAIN_TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
+NUMBER = r"^[0-9]+([hmds]?[a-zA-Z]*)?$"
 SPACE = r"[\s\x{85}\p{Z}]+"
 
 
@@ -78,7 +79,7 @@ def plain_words(x: Column) -> Column:
 
 def is_term(w: Column, stop: list[str]) -> Column:
     """Two characters or more, no stop words, no numbers with units."""
-    return (F.length(w) >= 2) & ~w.isin(*stop) & ~F.rlike(w, F.lit(r"^[0-9]+([hmds]?[a-zA-Z]*)?$"))
+    return (F.length(w) >= 2) & ~w.isin(*stop) & ~F.rlike(w, F.lit(NUMBER))
 
 
 def sparse_tokens(x: Column, stop: list[str]) -> Column:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from corpusmill.functions import text
 from corpusmill.functions.text import rounded
+from corpusmill.session import tuned
 
 
 def top(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -15,13 +22,53 @@ def top(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("int")).where(F.col("rank") <= k)
 
 
-def term_counts(docs: DataFrame, key: str, words: Column, kept: Callable[[Column], Column]) -> DataFrame:
-    """(key, term, tf, max_tf) of every distinct term that is ``kept``.
-
-    The texts are brought together by key, which moves less than their terms and is all the moving that counts,
-    maxima and scores by key need. An outer explode: before an inner one Spark puts filters that make the words again."""
-    terms = docs.repartition(key).select(key, F.explode_outer(words).alias("term")).where(F.col("term").isNotNull() & kept(F.col("term")))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf")).withColumn("max_tf", F.max("tf").over(Window.partitionBy(key)))
+def _counted(batches: Iterable[pa.RecordBatch], schema: pa.Schema, stop: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, words), ordered by key, to (key, term, tf, max_tf); the last key of a batch waits for the next one."""
+    rest = None
+    for last, batch in _and_last(batches):
+        rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        codes = pc.dictionary_encode(rows.column(0).combine_chunks(), null_encoding="encode").indices.to_numpy()
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        n = len(codes) if last or not len(codes) else int(starts[-1])
+        rest = rows.slice(n).combine_chunks().to_batches()[0] if n < len(codes) else None
+        lists = rows.column(1).slice(0, n).combine_chunks()
+        run = np.searchsorted(starts, np.arange(n), side="right") - 1
+        run = np.repeat(run, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        found = pc.dictionary_encode(lists.flatten())
+        words = found.dictionary
+        kept = pc.and_not(pc.greater_equal(pc.utf8_length(words), 2), pc.or_(pc.is_in(words, pa.array(stop, words.type)), pc.match_substring_regex(words, text.NUMBER)))
+        code = found.indices.to_numpy()
+        ok = kept.to_numpy(zero_copy_only=False)[code]
+        pair, tf = np.unique(run[ok].astype(np.int64) * max(1, len(words)) + code[ok], return_counts=True)
+        if not len(pair):
+            continue
+        run, code = np.divmod(pair, len(words))
+        at = np.flatnonzero(np.diff(run, prepend=-1))
+        most = np.repeat(np.maximum.reduceat(tf, at), np.diff(at, append=len(run)))
+        columns = [rows.column(0).take(pa.array(starts[run])).combine_chunks(), words.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(most, pa.int64())]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _and_last(items: Iterable) -> Iterator[tuple[bool, object]]:
+    items = iter(items)
+    for x in items:
+        for y in items:
+            yield False, x
+            x = y
+        yield True, x
+
+
+def term_counts(docs: DataFrame, key: str, words: Column, stop: list[str]) -> DataFrame:
+    """(key, term, tf, max_tf) of every distinct word that is fit for the sparse index (``text.is_term``).
+
+    Rows of a key are brought together as texts, which moves less than their terms; then words are counted
+    by Arrow batches, as Spark would explode them and hash (key, term) twice."""
+    tuned(docs.sparkSession)
+    k = docs.schema[key]
+    out = StructType([StructField(key, k.dataType), StructField("term", StringType()), StructField("tf", LongType()), StructField("max_tf", LongType())])
+    schema = to_arrow_schema(out)
+    rows = docs.repartition(key).sortWithinPartitions(key).select(key, words.alias("words"))
+    return rows.mapInArrow(lambda batches: _counted(batches, schema, stop), out)
 
 
 def vocabulary(terms: DataFrame, docs: DataFrame, min_df: int = 2, most: int = 50_000) -> DataFrame:
@@ -39,7 +86,7 @@ def encode(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 
 
 def sparse_scores(queries: DataFrame, docs: DataFrame, query: str, doc: str) -> DataFrame:
-    """Dot products over shared terms; pairs without one are absent. Queries are few and go to the documents, which stay where their terms are."""
+    """Dot products over shared terms; pairs without one are absent. Queries are few and go to the documents."""
     q = queries.select(query, "idx", F.col("weight").alias("wq"))
     return docs.join(F.broadcast(q), "idx").groupBy(query, doc).agg(F.sum(F.col("weight") * F.col("wq")).alias("score")).withColumn("score", rounded(F.col("score"), 6))
 
